@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from kmerloom.session import ship
+
 U64 = np.uint64
 #: Odd multipliers of a 64-bit mixer.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -22,7 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = 256) -> None:
-    """Small Arrow batches: texts are long, so a batch of the default 10,000 rows could fill a Python worker."""
+    """The package on the executors, and small Arrow batches: 10,000 long texts at once could fill a worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
