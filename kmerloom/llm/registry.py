@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, html_extract, pii, simple8b, toxicity
+from . import chat, fingerprint, html_extract, ngram_join, pii, simple8b, toxicity
 
-MODULES = (simple8b, chat, toxicity, pii, html_extract, fingerprint)
+MODULES = (simple8b, chat, toxicity, pii, html_extract, fingerprint, ngram_join)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
