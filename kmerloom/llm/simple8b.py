@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import ByteTokens
+from .tokens import ByteTokens, shared
 
 #: Fixed values of the code: (ids in a word, bits of each) by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -58,12 +58,19 @@ def encode(ids: np.ndarray) -> bytes:
     todo = np.ones((blocks, BLOCK), dtype=bool)
     reach: dict[int, np.ndarray] = {}
     most = int(grid.max()) if n else 0
+    light = grid.astype(np.uint32) if most < 1 << 32 else grid
     for s, (count, bits) in enumerate(SELECTORS[:15]):
         if bits not in reach:
-            bad = np.where(grid >> U64(bits) != 0, places, BLOCK) if most >> bits else np.full(grid.shape, BLOCK)
-            bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1].astype(np.int32)
-            reach[bits] = np.where(bad >= ends, BLOCK * 2, bad)
-        fits = todo & (reach[bits] >= places + count)
+            over = light >= 1 << bits if most >> bits else None
+            if over is None:
+                reach[bits] = np.full(grid.shape, BLOCK * 2, dtype=np.int32)
+            elif over.size - int(np.count_nonzero(over)) < min(count, 8):
+                continue  # too few small ids for any word of this kind
+            else:
+                bad = np.where(over, places, np.int32(BLOCK))
+                bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
+                reach[bits] = np.where(bad >= ends, np.int32(BLOCK * 2), bad)
+        fits = todo & (reach[bits] >= places + np.int32(count))
         best[fits] = s
         todo &= ~fits
     # walk all blocks in step, a word of each at a time
@@ -146,7 +153,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
     common.prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ByteTokens(tokenizer)
+        tokens = shared(ByteTokens, tokenizer)
         context = TaskContext.get()
         part, shard = context.partitionId() if context else 0, 0
         ids: list[np.ndarray] = []

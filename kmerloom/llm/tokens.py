@@ -8,82 +8,96 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space by some definition other than blank and line feed: such texts go to the library whole.
-_RARE_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-_BYTE_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_WORD_PIECES = re.compile(r"[^ \n]+")
+#: White space, by any usual definition, other than blank and line feed.
+RARE_SPACE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
-class _Pieces(dict):
-    """Piece to number; new pieces get the next number and wait in ``fresh``."""
+class _Tokens(dict):
+    """Piece to the little-endian bytes of its ids, for a bounded number of pieces."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        value = self[piece] = len(self)
-        self.fresh.append(piece)
-        return value
-
-
-class _Tokens:
-    pieces: re.Pattern
-    whole: re.Pattern | None = None
-
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = _Pieces()
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.n = 0
-
-    def _learn(self) -> None:
-        for e in self.library.encode_batch_fast(self.known.fresh, add_special_tokens=False):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if self.n == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.n], self.sizes[self.n] = self.used, len(ids)
-            self.used += len(ids)
-            self.n += 1
-        self.known.fresh.clear()
+        self.marks = {m: self.encoded(m) for m in ",."}
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def shown(self, piece: str) -> str:
+        """The text that a piece stands for."""
+        return piece
+
+    def joined(self, pieces: list[str]) -> bytes:
+        """The ids of all pieces; unknown ones go to the library together."""
+        fresh = [p for p in set(pieces) if p not in self]
+        if fresh:
+            if len(self) + 2 * len(fresh) > self.limit:
+                self.clear()
+                fresh = list(set(pieces))
+            # a word and a mark after it are coded apart, so a word need be met with one of them only
+            marked = [p for p in fresh if p[-1:] in self.marks and p[:-1].isalpha()]
+            bare = {p for p in fresh if not (p[-1:] in self.marks and p[:-1].isalpha())}
+            bare.update(w for p in marked if (w := p[:-1]) not in self)
+            words = list(bare)
+            for w, e in zip(words, self.library.encode_batch_fast([self.shown(w) for w in words], add_special_tokens=False)):
+                self[w] = array("I", e.ids).tobytes()
+            for p in marked:
+                self[p] = self[p[:-1]] + self.marks[p[-1]]
+        return b"".join(map(self.__getitem__, pieces))
 
     def ids(self, text: str) -> np.ndarray:
-        if self.whole and self.whole.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.known) > self.limit:
-            self._forget()
-        found = self.pieces.findall(text)
-        codes = np.fromiter(map(self.known.__getitem__, found), dtype=np.int64, count=len(found))
-        if self.known.fresh:
-            self._learn()
-        sizes = self.sizes[codes]
-        total = int(sizes.sum())
-        return self.flat[np.arange(total) + np.repeat(self.starts[codes] - (np.cumsum(sizes) - sizes), sizes)]
+        raise NotImplementedError
 
 
 class ByteTokens(_Tokens):
-    """A byte-level vocabulary that keeps white space."""
+    """A byte-level vocabulary that keeps white space.
+
+    A piece stands for itself after a blank, or for itself where it starts with a line feed.
+    """
 
-    pieces, whole = _BYTE_PIECES, _RARE_SPACE
+    def shown(self, piece: str) -> str:
+        return piece if piece[:1] == "\n" else " " + piece
+
+    def ids(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, dtype=np.uint32)
+        if any(c in text for c in RARE_SPACE):
+            return np.frombuffer(self.encoded(text), dtype="<u4")
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
+            return np.frombuffer(b"".join(map(self._run, _RUNS.findall(text))), dtype="<u4")
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return np.frombuffer(self.encoded(first) + self.joined(rest), dtype="<u4")
+
+    def _run(self, run: str) -> bytes:
+        """A white-space run with the word after it."""
+        if run[0] == " " and len(run) > 1 and run[1] not in " \n":
+            return self.joined([run[1:]])
+        return self.encoded(run)
 
 
 class WordTokens(_Tokens):
     """A vocabulary with word ends that drops white space."""
 
-    pieces = _WORD_PIECES
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.joined(text.replace("\n", " ").split(" ")), dtype="<u4")
+
+
+_open: dict[tuple[type, str], _Tokens] = {}
+
+
+def shared(kind: type[_Tokens], path: str) -> _Tokens:
+    """One for each worker process, so that later tasks find what earlier ones have learnt."""
+    if (kind, path) not in _open:
+        _open[kind, path] = kind(path)
+    return _open[kind, path]
