@@ -358,6 +358,21 @@ def near_groups(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc
     return _Join(df, n, percent, id_col, text_col).run()
 
 
+def one_of_each(df: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, without the documents that link to one of a lesser id.
+
+    Of repeated rows one stays; a row without id stays; an id stays if any of its texts does.
+    """
+    groups = near_groups(df, n, percent, id_col, text_col)
+    groups = common.stash(groups, f"{common.workdir(df.sparkSession)}/groups")
+    gone = groups.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("rows"))
+    repeated = bool(gone.where("rows > 1 and doc_id is not null").limit(1).count())
+    gone = gone.where("stays = 0").select(F.col("doc_id").alias(id_col))
+    small = gone.count() <= 1_000_000  # 8 MB; beyond, both sides are shuffled
+    kept = df.join(F.broadcast(gone) if small else gone, id_col, "left_anti").select(*df.columns)
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(common.table(spark, sf_dir, "documents"), n=3, percent=90)
 

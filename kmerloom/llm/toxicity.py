@@ -192,6 +192,22 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score(docs, chain, list(cats)).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
 
 
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the chain does not call toxic."""
+    common.prepare(spark)
+    model = spark.sparkContext.broadcast(train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), categories()))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = _Slots()
+        for batch in batches:
+            found, of = _sparse([features(t, slots) for t in batch.column(at).to_pylist()])
+            p = apply_chain(model.value, found, of, batch.num_rows)
+            yield batch.filter(pa.array(p[:, -1] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark, common.table(spark, sf_dir, "documents"), sf_dir)
 
