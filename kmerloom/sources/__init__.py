@@ -1,0 +1 @@
+"""Readers and writers of sequence and mapping files."""
