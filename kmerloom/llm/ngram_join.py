@@ -9,7 +9,8 @@ A set of size n must share ``need = ceil(t n)`` shingles with any partner, so pa
 shingles within their first ``n - need + l``, for each l.  Every document picks the l of least estimated cost
 (candidates met, plus candidates left after asking for l matches, which are verified) and emits its prefix, each
 shingle with the first l for which it counts; two documents are candidates if they share min(l, l') shingles
-that count for min(l, l').  Candidates are verified on their whole sets.
+that count for min(l, l').  A candidate is also left out if what can still be shared from where it meets its partner
+is too little for their sizes.  Candidates are verified on their whole sets.
 
 Only the groups are asked for, so links within a group already found are not needed: first each list of a
 shingle gives a star around its least member; what these verified stars join is one group, and after that
@@ -42,7 +43,7 @@ MOST_BITS = 24
 _BLOCK = 1 << 14
 I64, I32 = pa.int64(), pa.int32()
 _ROWS = pa.schema([("kind", I32), ("doc_id", I64), ("n", I64), ("node", I64), ("payload", pa.binary())])
-_POSTS = pa.schema([("token", I64), ("node", I64), ("n", I32), ("tier", I32), ("ell", I32)])
+_POSTS = pa.schema([("token", I64), ("node", I64), ("n", I32), ("pos", I32), ("tier", I32), ("ell", I32)])
 _PAIRS = pa.schema([("a", I64), ("b", I64), ("need", I32)])
 _LINKS = pa.schema([("a", I64), ("b", I64)])
 
@@ -128,7 +129,7 @@ def _prefixes(n: int, percent: int, bits: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, log = common.WordHashes(), sketch.value
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[] for _ in _POSTS]
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, n, hashes)
                 size = len(s)
@@ -142,7 +143,7 @@ def _prefixes(n: int, percent: int, bits: int, sketch):
                 kept = s[order[: base + ell - 1]]
                 tier = np.ones(len(kept), dtype=np.int32)
                 tier[base:] = np.arange(2, ell + 1)
-                for c, x in zip(cols, (kept.view(np.int64), np.full(len(kept), node_of(s)), np.full(len(kept), size), tier, np.full(len(kept), ell))):
+                for c, x in zip(cols, (kept.view(np.int64), np.full(len(kept), node_of(s)), np.full(len(kept), size), np.arange(len(kept)), tier, np.full(len(kept), ell))):
                     c.append(x)
             if cols[0]:
                 yield common.arrow(_POSTS, [np.concatenate(c) for c in cols])
@@ -172,7 +173,7 @@ def _all_pairs(percent: int):
     """Pairs of members in different groups with the number of matches that they need, by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, n, tier, ell, group in _lists(batches, ["token", "node", "n", "tier", "ell", "grp"]):
+        for token, node, n, tier, ell, most, group in _lists(batches, ["token", "node", "n", "tier", "ell", "most", "grp"]):
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             ends = np.r_[starts[1:], len(token)]
             # rows of a list are sorted by n: each row meets those after it, a step of distance at a time
@@ -185,7 +186,8 @@ def _all_pairs(percent: int):
                 near = 100 * n[i].astype(np.int64) >= percent * n[j].astype(np.int64)
                 i, j = i[near], j[near]  # later rows are larger still
                 need = np.minimum(ell[i], ell[j])
-                ok = (group[i] != group[j]) & (np.maximum(tier[i], tier[j]) <= need)
+                shared = percent * (n[i].astype(np.int64) + n[j])  # over 100 + percent: what they must share
+                ok = (group[i] != group[j]) & (np.maximum(tier[i], tier[j]) <= need) & ((100 + percent) * np.minimum(most[i], most[j]).astype(np.int64) >= shared)
                 if ok.any():
                     x, y = node[i[ok]], node[j[ok]]
                     yield common.arrow(_PAIRS, [np.minimum(x, y), np.maximum(x, y), need[ok]])
@@ -254,11 +256,16 @@ class _Join:
         for row in blocks.toLocalIterator():  # at most 2^24 bytes in all
             log[row["n"] * _BLOCK : (row["n"] + 1) * _BLOCK] = np.frombuffer(row["payload"], dtype=np.uint8)
         sketch = self.spark.sparkContext.broadcast(log)
-        posts = self.docs.mapInArrow(_prefixes(self.n, self.percent, bits, sketch), "token long, node long, n int, tier int, ell int")
-        posts = posts.groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "tier", "ell")))
-        # lists of one member have no candidates
-        counted = posts.withColumn("c", F.count("*").over(Window.partitionBy("token")))
-        self.posts = common.stash(counted.where("c > 1").drop("c"), f"{self.path}/posts")
+        posts = self.docs.mapInArrow(_prefixes(self.n, self.percent, bits, sketch), "token long, node long, n int, pos int, tier int, ell int")
+        posts = posts.groupBy("token", "node").agg(*(F.first(c).alias(c) for c in ("n", "pos", "tier", "ell")))
+        # A shingle that no other prefix has is in no partner that is met at a later shingle of this prefix, for
+        # what partners share before the shingle at which they meet stands in both prefixes.
+        alone = (F.count("*").over(Window.partitionBy("token")) == 1).cast("int")
+        posts = posts.withColumn("alone", alone)
+        own = Window.partitionBy("node")
+        posts = posts.withColumn("most", (F.col("n") - F.sum("alone").over(own.orderBy("pos"))).cast("int")).withColumn("singles", F.sum("alone").over(own).cast("int"))
+        posts = posts.where((F.col("alone") == 0) & (100 * F.col("most").cast("long") >= self.percent * F.col("n").cast("long")))
+        self.posts = common.stash(posts.drop("alone", "pos"), f"{self.path}/posts")
         self.reps = self.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -298,9 +305,11 @@ class _Join:
     def stars(self, groups: DataFrame | None) -> DataFrame:
         """Pairs of each list's least member with those of other groups, where they meet in enough lists."""
         at = self.labelled(groups)
-        order = F.struct(F.xxhash64(F.lit(self.round), "node").alias("o"), "node", "grp")
+        # a text that others are edits of has the fewest shingles of its own, and links to most of them
+        order = F.struct("singles", F.xxhash64(F.lit(self.round), "node").alias("o"), "node", "grp", "n", "most")
         at = at.withColumn("least", F.min(order).over(Window.partitionBy("token")))
-        pairs = at.where("grp <> least.grp").select(F.col("least.node").alias("a"), F.col("node").alias("b"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).alias("base"))
+        enough = (100 + self.percent) * F.least("most", "least.most").cast("long") >= self.percent * (F.col("n") + F.col("least.n")).cast("long")
+        pairs = at.where(F.col("grp") != F.col("least.grp")).where(enough).select(F.col("least.node").alias("a"), F.col("node").alias("b"), (F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1).alias("base"))
         return pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("base").alias("base")).where("4 * c >= base").select("a", "b")
 
     def left(self, groups: DataFrame) -> int:
@@ -314,7 +323,7 @@ class _Join:
         spread = Window.partitionBy("token")
         at = at.withColumn("lo", F.min("grp").over(spread)).withColumn("hi", F.max("grp").over(spread)).where("lo <> hi")
         common.prepare(self.spark, 20_000)
-        at = at.repartition(common.shuffle_partitions(self.spark), "token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "tier", "ell", "grp")
+        at = at.repartition(common.shuffle_partitions(self.spark), "token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "tier", "ell", "most", "grp")
         met = at.mapInArrow(_all_pairs(self.percent), "a long, b long, need int")
         return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
 
