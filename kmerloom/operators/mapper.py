@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,15 @@ class Index:
     sizes: DataFrame  # segm_id, n_kmers
 
 
-def build_index(segments: DataFrame, p: Params, text: bool = False) -> Index:
-    """The sketch of the reference, with the hits per hash; hashes of more than max_matches hits have none."""
+def build_index(segments: DataFrame, p: Params, text: bool = False, keep: bool = False) -> Index:
+    """The sketch of the reference, with the hits per hash; hashes of more than max_matches hits have none.
+
+    With ``keep`` the sketch, which several steps read, stays in the executors (spilling to disk; what is lost
+    with an executor is made again).
+    """
     sk = sketch(segments, "segm_id", "seq", p.k, p.h_frac, text).withColumnRenamed("owner", "segm_id")
+    if keep:
+        sk = sk.persist(StorageLevel.MEMORY_AND_DISK)
     freq = sk.groupBy("h").agg(F.count("*").alias("hits_in_t"))
     hits = sk
     if p.max_matches >= 0:
@@ -147,7 +154,7 @@ class Mapped:
 
 def candidates(corpus: Corpus, index: Index, p: Params) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(scored buckets in order, seeds, stats, hits of the candidates)."""
-    seeds = read_seeds(corpus.reads, index, p, corpus.text)
+    seeds = read_seeds(corpus.reads, index, p, corpus.text).persist(StorageLevel.MEMORY_AND_DISK)
     stats = read_stats(corpus.reads, seeds)
     first = bucket_content(bucket_hits(seeds.where("in_budget and hits > 0"), index.hits, corpus.reads, p)).withColumnRenamed("matches", "seed_phase")
     first = first.select("read_idx", "segm_id", "b", "seed_phase").join(stats.select("read_idx", "m", "read_len", "seeds_consumed"), "read_idx")
@@ -172,9 +179,9 @@ def candidates(corpus: Corpus, index: Index, p: Params) -> tuple[DataFrame, Data
 
 def map_reads(corpus: Corpus, p: Params, index: Index | None = None) -> Mapped:
     """One row per mapped read with all fields of its mapping, the rest as unmapped."""
-    index = index or build_index(corpus.segments, p, corpus.text)
+    index = index or build_index(corpus.segments, p, corpus.text, keep=True)
     live, seeds, stats, hits = candidates(corpus, index, p)
-    scored = refine.score(live, hits, seeds, index, p)
+    scored = refine.score(live, hits, seeds, index, p).persist(StorageLevel.MEMORY_AND_DISK)  # read for the best and the second best
     chosen = refine.choose(scored, p)
     out = chosen.join(stats.select("read_idx", "query_id", "budget", "max_seed_matches", "seed_matches", F.col("read_len").alias("len"), "possible_matches", "kmers_unique"), "read_idx")
     out = out.join(corpus.segments.select("segm_id", F.col("name").alias("segment"), F.col("sz").alias("segm_sz")), "segm_id")
