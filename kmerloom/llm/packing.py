@@ -6,8 +6,9 @@ inverted index with BM25 weights (document frequencies and mean length over the
 unused document is the seed of a window, its unused neighbours fill the window in order of score, those that
 fit whole first, and the best one that does not fit is cut to close it.  Only a shard's last window is padded.
 
-Shards are runs of at most ``SHARD_DOCS`` documents in the order of their most telling tokens, so copies and
-close texts meet whatever the size of the corpus, and no group of copies meets in one task.
+Shards are runs of at most ``SHARD_DOCS`` documents in the order of their two largest token ids (merges come
+in order of frequency, so these are rare tokens): copies and close texts meet whatever the size of the corpus, and
+no group of copies need meet in one task.
 
 Null texts count as empty (just the end id), repeated rows are packed as often as they stand, an empty table
 gives no rows, other columns are ignored, ties of score go to the earlier document.
@@ -28,13 +29,13 @@ from . import common
 from .tokens import WordTokens, shared
 
 WINDOW = 2048
-SHARD_DOCS = 1024
+SHARD_DOCS = 512
 K1, B = 1.2, 0.75
 I64 = pa.int64()
 _PIECES = [("doc_id", I64), ("start", I64), ("length", I64), ("ids_crc32", I64), ("doc_tokens", I64), ("sequence_id", I64), ("offset", I64)]
 _OUT = pa.schema(_PIECES)
 OUT = ", ".join(f"{n} long" for n, _ in _PIECES)
-_ROWS = pa.schema([("kind", pa.int32()), *_PIECES, ("payload", pa.binary())])
+_ROWS = pa.schema([("kind", pa.int32()), *_PIECES, ("payload", pa.binary()), ("place", I64)])
 _BLOCK = 4096
 
 
@@ -52,21 +53,22 @@ def _tokenized(tokenizer: str, end_id: int, window: int):
         df, docs, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(tokens.ids(text or ""), end_id).astype("<u2")
+            for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist())):
+                ids = np.append(own, end_id).astype("<u2")
                 n = len(ids)
-                df[np.unique(ids)] += 1
+                distinct = np.unique(ids)
+                df[distinct] += 1
                 docs, total = docs + 1, total + n
                 whole = n // window * window
                 for start in range(0, whole, window):
-                    rows.append((0, doc_id, start, window, crc(ids[start : start + window]), n, sequence, 0, None))
+                    rows.append((0, doc_id, start, window, crc(ids[start : start + window]), n, sequence, 0, None, None))
                     sequence += 1
                 if whole < n:
-                    rows.append((1, doc_id, whole, n - whole, None, n, None, None, ids[whole:].tobytes()))
+                    rows.append((1, doc_id, whole, n - whole, None, n, None, None, ids[whole:].tobytes(), int(distinct[-1]) << 16 | int(distinct[-min(2, len(distinct))])))
             if rows:
                 yield common.arrow(_ROWS, list(zip(*rows)))
         if docs:
-            blocks = [(2, b, docs if b == 0 else 0, total if b == 0 else 0, None, None, None, None, zlib.compress(df[b * _BLOCK : (b + 1) * _BLOCK].tobytes(), 1)) for b in range(16)]
+            blocks = [(2, b, docs if b == 0 else 0, total if b == 0 else 0, None, None, None, None, zlib.compress(df[b * _BLOCK : (b + 1) * _BLOCK].tobytes(), 1), None) for b in range(16)]
             yield common.arrow(_ROWS, list(zip(*blocks)))
 
     return run
@@ -170,22 +172,6 @@ def _packed(model, window: int):
     return run
 
 
-def _keyed(model):
-    """Adds the most telling tokens of a piece as its place among the shards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, _ = model.value
-        for batch in batches:
-            keys = []
-            for payload in batch.column("payload").to_pylist():
-                ids, tf = np.unique(np.frombuffer(payload, dtype="<u2"), return_counts=True)
-                top = np.argsort(-(idf[ids] * np.sqrt(tf)), kind="stable")[:2]
-                keys.append(int(ids[top[0]]) << 16 | int(ids[top[-1]]))
-            yield batch.append_column("place", pa.array(keys, I64))
-
-    return run
-
-
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -195,15 +181,14 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, i
     common.prepare(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = common.workdir(spark)
-    rows = common.stash(docs.mapInArrow(_tokenized(tokenizer, end_id, window), f"kind int, {OUT}, payload binary"), f"{path}/pieces", "kind")
+    rows = common.stash(docs.mapInArrow(_tokenized(tokenizer, end_id, window), f"kind int, {OUT}, payload binary, place long"), f"{path}/pieces", "kind")
     sums = rows.where("kind = 2").select("doc_id", "start", "length", "payload").groupBy("doc_id").applyInArrow(_summed, "block long, docs long, total long, payload binary").collect()  # 16 rows
     n_docs, total = (sum(r[c] for r in sums) for c in ("docs", "total"))
     counts = np.zeros(1 << 16)
     for r in sums:
         counts[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["payload"], dtype=np.int64)
     model = spark.sparkContext.broadcast((np.log1p((n_docs - counts + 0.5) / (counts + 0.5)), total / max(n_docs, 1)))
-    rest = rows.where("kind = 1").select("doc_id", "start", "doc_tokens", "payload")
-    keyed = rest.mapInArrow(_keyed(model), "doc_id long, start long, doc_tokens long, payload binary, place long")
+    keyed = rows.where("kind = 1").select("doc_id", "start", "doc_tokens", "payload", "place")
     order = [F.col("place"), F.xxhash64("payload"), F.col("doc_id")]
     keyed = keyed.repartitionByRange(common.shuffle_partitions(spark), *order).sortWithinPartitions(*order).drop("place")
     names = [n for n, _ in _PIECES]

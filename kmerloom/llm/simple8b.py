@@ -52,8 +52,8 @@ def encode(ids: np.ndarray) -> bytes:
     esc_values = grid[over]
     grid[over] = 0
     # best[b, i]: the selector with most ids that can start at place i; beyond a block's end anything fits
-    places = np.arange(BLOCK, dtype=np.int32)
-    ends = sizes[:, None].astype(np.int32)
+    places = np.arange(BLOCK, dtype=np.int16)
+    ends = sizes[:, None].astype(np.int16)
     best = np.full((blocks, BLOCK), 15, dtype=np.int8)
     todo = np.ones((blocks, BLOCK), dtype=bool)
     reach: dict[int, np.ndarray] = {}
@@ -63,14 +63,14 @@ def encode(ids: np.ndarray) -> bytes:
         if bits not in reach:
             over = light >= 1 << bits if most >> bits else None
             if over is None:
-                reach[bits] = np.full(grid.shape, BLOCK * 2, dtype=np.int32)
+                reach[bits] = np.full(grid.shape, BLOCK * 2, dtype=np.int16)
             elif over.size - int(np.count_nonzero(over)) < min(count, 8):
                 continue  # too few small ids for any word of this kind
             else:
-                bad = np.where(over, places, np.int32(BLOCK))
+                bad = np.where(over, places, np.int16(BLOCK))
                 bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-                reach[bits] = np.where(bad >= ends, np.int32(BLOCK * 2), bad)
-        fits = todo & (reach[bits] >= places + np.int32(count))
+                reach[bits] = np.where(bad >= ends, np.int16(BLOCK * 2), bad)
+        fits = todo & (reach[bits] >= places + np.int16(count))
         best[fits] = s
         todo &= ~fits
     # walk all blocks in step, a word of each at a time
@@ -142,7 +142,7 @@ _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _DOCS_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1_000_000) -> DataFrame:
+def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 500_000) -> DataFrame:
     """Encode all texts in ascending order of id and write the shards; returns the dataset.
 
     A shard closes at the document with which it reaches shard_ids, so memory is bounded by that and the
@@ -165,8 +165,9 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
             return common.arrow(_SHARDS_ARROW, [[part], [shard], [sum(lengths)], [names], [lengths], [encode(np.concatenate(ids))]])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(np.append(tokens.ids(text or ""), end_id).astype(np.uint32))
+            texts = batch.column(1).to_pylist()
+            for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(texts)):
+                ids.append(np.append(own, end_id).astype(np.uint32))
                 names.append(doc_id)
                 lengths.append(len(ids[-1]))
                 held += lengths[-1]

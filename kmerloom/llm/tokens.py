@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -22,14 +23,18 @@ _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 class _Tokens(dict):
     """Piece to the little-endian bytes of its ids, for a bounded number of pieces."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
+        self[""] = b""
         self.marks = {m: self.encoded(m) for m in ",."}
+        vocabulary = self.library.get_vocab()
+        self.borders = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (or end) a piece of a joined text
+        self.borders[[i for t, i in vocabulary.items() if self.is_border(t)]] = True
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -38,24 +43,68 @@ class _Tokens(dict):
         """The text that a piece stands for."""
         return piece
 
-    def joined(self, pieces: list[str]) -> bytes:
-        """The ids of all pieces; unknown ones go to the library together."""
-        fresh = [p for p in set(pieces) if p not in self]
-        if fresh:
-            if len(self) + 2 * len(fresh) > self.limit:
-                self.clear()
-                fresh = list(set(pieces))
-            # a word and a mark after it are coded apart, so a word need be met with one of them only
-            marked = [p for p in fresh if p[-1:] in self.marks and p[:-1].isalpha()]
-            bare = {p for p in fresh if not (p[-1:] in self.marks and p[:-1].isalpha())}
-            bare.update(w for p in marked if (w := p[:-1]) not in self)
-            words = list(bare)
+    def learn(self, pieces: set[str]) -> None:
+        """Give the unknown ones of some pieces to the library together."""
+        fresh = pieces.difference(self)
+        if not fresh:
+            return
+        if len(self) + 2 * len(fresh) > self.limit:
+            short = {p: v for p, v in self.items() if len(p) <= 6}  # mostly frequent words; long ones are mostly met once
+            self.clear()
+            self[""] = b""
+            self.update(short if len(short) < self.limit // 2 else {})
+            fresh = pieces.difference(self)
+        # a word and a mark after it are coded apart, so a word need be met with one of them only
+        marks, marked, bare = self.marks, [], set()
+        for p in fresh:
+            w = p[:-1]
+            if p[-1:] in marks and w.isalpha():
+                marked.append((p, w))
+                bare.add(w)
+            else:
+                bare.add(p)
+        joined = [w for w in bare.difference(self) if self.may_join(w)]
+        for i in range(0, len(joined), 2000):
+            self._learn_joined(joined[i : i + 2000])
+        words = list(bare.difference(self))
+        if words:
             for w, e in zip(words, self.library.encode_batch_fast([self.shown(w) for w in words], add_special_tokens=False)):
                 self[w] = array("I", e.ids).tobytes()
-            for p in marked:
-                self[p] = self[p[:-1]] + self.marks[p[-1]]
+        self.update((p, self[w] + marks[p[-1]]) for p, w in marked)
+
+    def joined(self, pieces: list[str]) -> bytes:
+        self.learn(set(pieces))
         return b"".join(map(self.__getitem__, pieces))
 
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of several texts; their unknown pieces are learnt together."""
+        self.learn(set(chain.from_iterable(self.simple_pieces(t) for t in texts if t)))
+        return [self.ids(t or "") for t in texts]
+
+    def simple_pieces(self, text: str) -> list[str]:
+        """The pieces of a text of the common form, for learning them ahead."""
+        raise NotImplementedError
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Encode words as one text and cut its ids at the borders; words whose cuts don't add up stay unknown."""
+        ids = np.array(self.library.encode_batch_fast([self.text_of(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = self.cuts(np.flatnonzero(self.borders[ids]), len(ids))
+        if len(cuts) == len(words) + 1 and cuts[0] == 0:
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.update(zip(words, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+
+    def is_border(self, token: str) -> bool:
+        raise NotImplementedError
+
+    def may_join(self, piece: str) -> bool:
+        raise NotImplementedError
+
+    def text_of(self, words: list[str]) -> str:
+        raise NotImplementedError
+
+    def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
+        raise NotImplementedError
+
     def ids(self, text: str) -> np.ndarray:
         raise NotImplementedError
 
@@ -69,6 +118,18 @@ class ByteTokens(_Tokens):
     def shown(self, piece: str) -> str:
         return piece if piece[:1] == "\n" else " " + piece
 
+    def is_border(self, token: str) -> bool:
+        return token[:1] == "\u0120"  # how the vocabulary shows a blank
+
+    def may_join(self, piece: str) -> bool:
+        return piece != "" and piece[0] != "\n"
+
+    def text_of(self, words: list[str]) -> str:
+        return " " + " ".join(words)
+
+    def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.append(at, n)
+
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
@@ -76,8 +137,16 @@ class ByteTokens(_Tokens):
             return np.frombuffer(self.encoded(text), dtype="<u4")
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return np.frombuffer(b"".join(map(self._run, _RUNS.findall(text))), dtype="<u4")
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return np.frombuffer(self.encoded(first) + self.joined(rest), dtype="<u4")
+        rest = self.simple_pieces(text)
+        first = rest[0]
+        rest[0] = ""
+        try:
+            return np.frombuffer(self.encoded(first) + b"".join(map(self.__getitem__, rest)), dtype="<u4")
+        except KeyError:
+            return np.frombuffer(self.encoded(first) + self.joined(rest), dtype="<u4")
+
+    def simple_pieces(self, text: str) -> list[str]:
+        return text.replace("\n", " \n").split(" ")
 
     def _run(self, run: str) -> bytes:
         """A white-space run with the word after it."""
@@ -89,8 +158,28 @@ class ByteTokens(_Tokens):
 class WordTokens(_Tokens):
     """A vocabulary with word ends that drops white space."""
 
+    def is_border(self, token: str) -> bool:
+        return token.endswith("</w>")
+
+    def may_join(self, piece: str) -> bool:
+        return piece.isalpha()
+
+    def text_of(self, words: list[str]) -> str:
+        return " ".join(words)
+
+    def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
+        return np.append(0, at + 1)
+
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.joined(text.replace("\n", " ").split(" ")), dtype="<u4")
+        pieces = self.simple_pieces(text)
+        try:
+            return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
+        except KeyError:
+            return np.frombuffer(self.joined(pieces), dtype="<u4")
+
+    def simple_pieces(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        return (text if "\u03a3" in text else text.lower()).split(" ")  # capital sigma alone is lowered by its place
 
 
 _open: dict[tuple[type, str], _Tokens] = {}
