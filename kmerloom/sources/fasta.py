@@ -76,13 +76,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The same for one large plain file, split by lines over tasks; lines of a record meet by window."""
+    """The same for one large plain file, split by lines over tasks; a record's number is a running count of headers."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.rtrim("value").alias("v"))
-    heads = lines.where(F.col("v").startswith(">")).select("n", F.regexp_extract("v", r"^>([^ \t]*)", 1).alias("name"))
-    at = heads.withColumn("end", F.coalesce(F.lead("n").over(Window.orderBy("n")), F.lit(2**62))).withColumn("segm_id", F.row_number().over(Window.orderBy("n")).cast("long") - 1)
-    body = lines.where(~F.col("v").startswith(">")).join(F.broadcast(at) if heads.limit(1_000_001).count() <= 1_000_000 else at, (lines["n"] > at["n"]) & (lines["n"] < at["end"]))
-    seqs = body.select("segm_id", lines["n"], "v").groupBy("segm_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]), "").alias("seq"))
-    out = at.join(seqs, "segm_id", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    lines = lines.select("n", F.shiftright("n", 33).alias("split"), "v", F.col("v").startswith(">").cast("int").alias("head"))
+    per = lines.groupBy("split").agg(F.sum("head").alias("c"))
+    before = per.select("split", (F.sum("c").over(Window.orderBy("split")) - F.col("c")).alias("before"))  # one row per input split
+    run = Window.partitionBy("split").orderBy("n")
+    numbered = lines.join(F.broadcast(before), "split").withColumn("segm_id", F.col("before") + F.sum("head").over(run) - 1).where("segm_id >= 0")
+    heads = numbered.where("head = 1").select("segm_id", F.regexp_extract("v", r"^>([^ \t]*)", 1).alias("name"))
+    body = numbered.where("head = 0").groupBy("segm_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]), "").alias("seq"))
+    out = heads.join(body, "segm_id", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
     return out.select("segm_id", "name", F.length("seq").cast("int").alias("sz"), "seq")
 
 
