@@ -44,7 +44,7 @@ _BLOCK = 1 << 14
 I64, I32 = pa.int64(), pa.int32()
 _ROWS = pa.schema([("kind", I32), ("doc_id", I64), ("n", I64), ("node", I64), ("payload", pa.binary())])
 _POSTS = pa.schema([("token", I64), ("node", I64), ("n", I32), ("pos", I32), ("tier", I32), ("ell", I32)])
-_PAIRS = pa.schema([("a", I64), ("b", I64), ("need", I32)])
+_PAIRS = pa.schema([("a", I64), ("b", I64), ("need", I32), ("rest", I64), ("total", I64)])
 _LINKS = pa.schema([("a", I64), ("b", I64)])
 
 
@@ -170,14 +170,15 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[li
 
 
 def _all_pairs(percent: int):
-    """Pairs of members in different groups with the number of matches that they need, by list."""
+    """Pairs of members in different groups, by list: matches that they need, what can follow this one, both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, node, n, tier, ell, most, group in _lists(batches, ["token", "node", "n", "tier", "ell", "most", "grp"]):
+        for token, node, n, pos, tier, ell, most, group in _lists(batches, ["token", "node", "n", "pos", "tier", "ell", "most", "grp"]):
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             ends = np.r_[starts[1:], len(token)]
             # rows of a list are sorted by n: each row meets those after it, a step of distance at a time
             last = np.repeat(ends, ends - starts)
+            after = n.astype(np.int64) - pos - 1
             i = np.arange(len(token))
             step = 1
             while len(i):
@@ -189,8 +190,9 @@ def _all_pairs(percent: int):
                 shared = percent * (n[i].astype(np.int64) + n[j])  # over 100 + percent: what they must share
                 ok = (group[i] != group[j]) & (np.maximum(tier[i], tier[j]) <= need) & ((100 + percent) * np.minimum(most[i], most[j]).astype(np.int64) >= shared)
                 if ok.any():
-                    x, y = node[i[ok]], node[j[ok]]
-                    yield common.arrow(_PAIRS, [np.minimum(x, y), np.maximum(x, y), need[ok]])
+                    i_, j_ = i[ok], j[ok]
+                    x, y = node[i_], node[j_]
+                    yield common.arrow(_PAIRS, [np.minimum(x, y), np.maximum(x, y), need[ok], np.minimum(after[i_], after[j_]), n[i_].astype(np.int64) + n[j_]])
                 step += 1
 
     return run
@@ -265,7 +267,7 @@ class _Join:
         own = Window.partitionBy("node")
         posts = posts.withColumn("most", (F.col("n") - F.sum("alone").over(own.orderBy("pos"))).cast("int")).withColumn("singles", F.sum("alone").over(own).cast("int"))
         posts = posts.where((F.col("alone") == 0) & (100 * F.col("most").cast("long") >= self.percent * F.col("n").cast("long")))
-        self.posts = common.stash(posts.drop("alone", "pos"), f"{self.path}/posts")
+        self.posts = common.stash(posts.drop("alone"), f"{self.path}/posts")
         self.reps = self.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -323,9 +325,11 @@ class _Join:
         spread = Window.partitionBy("token")
         at = at.withColumn("lo", F.min("grp").over(spread)).withColumn("hi", F.max("grp").over(spread)).where("lo <> hi")
         common.prepare(self.spark, 20_000)
-        at = at.repartition(common.shuffle_partitions(self.spark), "token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "tier", "ell", "most", "grp")
-        met = at.mapInArrow(_all_pairs(self.percent), "a long, b long, need int")
-        return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need")).where("c >= need").select("a", "b")
+        at = at.repartition(common.shuffle_partitions(self.spark), "token").sortWithinPartitions("token", "n", "node").select("token", "node", "n", "pos", "tier", "ell", "most", "grp")
+        met = at.mapInArrow(_all_pairs(self.percent), "a long, b long, need int, rest long, total long")
+        met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.min("rest").alias("rest"), F.first("total").alias("total"))
+        # what they share is at most their matches and what follows the last of these in both
+        return met.where("c >= need").where((100 + self.percent) * (F.col("c") + F.col("rest")) >= self.percent * F.col("total")).select("a", "b")
 
     def run(self) -> DataFrame:
         self.scan()
