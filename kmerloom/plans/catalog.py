@@ -127,8 +127,9 @@ query("map_bucket_sh", oracle.query([SK, SEEDS, BUCKETS, oracle.bound_ctes(), or
 query("map_bucket_lcs")(_mapped("bucket_LCS"))
 query("map_rarity_weight")(_mapped("Containment", rarity_weight=1.0))
 query("map_rarity_tiebreak")(_mapped("Containment", rarity_tiebreak=0.05))
-query("map_no_pruning")(_mapped("Containment", no_pruning=True))
-query("map_one_sweep")(_mapped("Containment", one_sweep=True))
+for name, option in (("map_no_pruning", {"no_pruning": True}), ("map_one_sweep", {"one_sweep": True})):
+    own = replace(PARAMS, **option)
+    query(name, oracle.query([SK, oracle.seed_ctes(own), oracle.bucket_ctes(own), oracle.window_ctes(own), oracle.chosen(own)], FINAL))(_mapped("Containment", **option))
 query("map_absolute")(_mapped("Containment", absolute_positions=True))
 query("map_max_matches")(_mapped("Containment", max_matches=50))
 

@@ -32,17 +32,19 @@ def sketch_ctes(p: Params = PARAMS, tables: tuple[tuple[str, str, str], ...] = (
 
 
 def seed_ctes(p: Params = PARAMS) -> str:
+    budget = "CAST(count(*) OVER (PARTITION BY read_idx) AS INT)" if p.one_sweep else f"CAST(trunc((1.0 - ({p.theta!r} - {p.min_diff!r})) * m) AS INT) + 1"
     return f"""
 freq AS (SELECT h, count(*) AS hits FROM ref_sketch GROUP BY h),
 grouped AS (SELECT owner AS read_idx, h, CAST(count(*) AS INT) AS occs, arg_min(strand, r) AS strand, list(r ORDER BY r DESC) AS pmatches FROM own_sketch GROUP BY owner, h),
 seeds AS (SELECT g.*, CAST(coalesce(f.hits, 0) AS INT) AS hits, CAST(sum(occs) OVER (PARTITION BY read_idx) AS INT) AS m,
   CAST(row_number() OVER (PARTITION BY read_idx ORDER BY h) - 1 AS INT) AS seed_num,
   CAST(sum(occs) OVER (PARTITION BY read_idx ORDER BY coalesce(f.hits, 0), h ROWS UNBOUNDED PRECEDING) - occs AS INT) AS seeds_before FROM grouped g LEFT JOIN freq f USING (h)),
-budgeted AS MATERIALIZED (SELECT *, CAST(trunc((1.0 - ({p.theta!r} - {p.min_diff!r})) * m) AS INT) + 1 AS budget FROM seeds)"""
+budgeted AS MATERIALIZED (SELECT *, {budget} AS budget FROM seeds)"""
 
 
 def bucket_ctes(p: Params = PARAMS) -> str:
     """hits by bucket, and the content of buckets over the budget and over all seeds."""
+    live = "SELECT * REPLACE (1.0::DOUBLE AS sh) FROM ordered" if p.no_pruning else f"SELECT * FROM ordered WHERE sh >= {p.theta!r} * (1.0 - {p.min_diff!r})"
     return f"""
 met AS (SELECT s.read_idx, s.h, s.occs, s.m, s.seeds_before < s.budget AS early, t.owner AS segm_id, t.tpos, t.r, CASE WHEN s.strand = t.strand THEN 1 ELSE -1 END AS same,
   CAST(floor(t.tpos / s.m) AS INT) AS b0 FROM budgeted s JOIN ref_sketch t USING (h) WHERE s.m >= {p.min_sketch}),
@@ -56,7 +58,7 @@ sizes AS (SELECT owner AS segm_id, count(*) AS n_kmers FROM ref_sketch GROUP BY
 ordered AS MATERIALIZED (SELECT c.*, 1.0::DOUBLE - (c.m - c.matches) / c.m::DOUBLE AS sh, n_kmers,
   row_number() OVER (PARTITION BY c.read_idx ORDER BY e.matches DESC, c.segm_id, c.b) AS place, count(*) OVER (PARTITION BY c.read_idx) AS seeded_buckets
   FROM content c JOIN early_bucket e USING (read_idx, segm_id, b) JOIN sizes USING (segm_id)),
-live AS MATERIALIZED (SELECT * FROM ordered WHERE sh >= {p.theta!r} * (1.0 - {p.min_diff!r}))"""
+live AS MATERIALIZED ({live})"""
 
 
 def window_ctes(p: Params = PARAMS) -> str:
