@@ -47,32 +47,29 @@ def encode(ids: np.ndarray) -> bytes:
     sizes = np.full(blocks, BLOCK, dtype=np.int64)
     if blocks:
         sizes[-1] = n - (blocks - 1) * BLOCK
-    over = grid >> U64(60) != 0
+    over = grid >> U64(60) != 0 if n and int(ids.max()) >> 60 else np.zeros(grid.shape, dtype=bool)
     esc_block, esc_at = np.nonzero(over)
     esc_values = grid[over]
     grid[over] = 0
     # best[b, i]: the selector with most ids that can start at place i; beyond a block's end anything fits
-    places = np.arange(BLOCK, dtype=np.int16)
-    ends = sizes[:, None].astype(np.int16)
     best = np.full((blocks, BLOCK), 15, dtype=np.int8)
-    todo = np.ones((blocks, BLOCK), dtype=bool)
-    reach: dict[int, np.ndarray] = {}
     most = int(grid.max()) if n else 0
     light = grid.astype(np.uint32) if most < 1 << 32 else grid
-    for s, (count, bits) in enumerate(SELECTORS[:15]):
-        if bits not in reach:
-            over = light >= 1 << bits if most >> bits else None
-            if over is None:
-                reach[bits] = np.full(grid.shape, BLOCK * 2, dtype=np.int16)
-            elif over.size - int(np.count_nonzero(over)) < min(count, 8):
-                continue  # too few small ids for any word of this kind
-            else:
-                bad = np.where(over, places, np.int16(BLOCK))
-                bad = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-                reach[bits] = np.where(bad >= ends, np.int16(BLOCK * 2), bad)
-        fits = todo & (reach[bits] >= places + np.int16(count))
-        best[fits] = s
-        todo &= ~fits
+    small = np.ones((blocks, BLOCK + SELECTORS[0][0]), dtype=bool)
+    for s in range(14, -1, -1):  # more and more ids in a word
+        count, bits = SELECTORS[s]
+        if most >> bits:
+            np.less(light, 1 << bits, out=small[:, :BLOCK])
+            if n:
+                small[-1, sizes[-1] :] = True
+            fits, width = small, 1
+            while width < count:  # all of the next ``width`` ids are small
+                step = min(width, count - width)
+                fits = fits[:, :-step] & fits[:, step:]
+                width += step
+            np.copyto(best, s, where=fits[:, :BLOCK])
+        else:
+            best[:] = s
     # walk all blocks in step, a word of each at a time
     at, rows, found = np.zeros(blocks, dtype=np.int64), np.arange(blocks), []
     live = rows
@@ -84,7 +81,7 @@ def encode(ids: np.ndarray) -> bytes:
         live = live[at[live] < sizes[live]]
     if found:
         blk, pos, sel = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((pos, blk))
+        order = np.argsort(blk, kind="stable")  # within a block the walk is in order
         blk, pos, sel = blk[order], pos[order], sel[order]
     else:
         blk = pos = sel = np.zeros(0, dtype=np.int64)

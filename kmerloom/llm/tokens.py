@@ -20,17 +20,16 @@ RARE_SPACE = [chr(c) for c in (*range(0x09, 0x0A), *range(0x0B, 0x0E), *range(0x
 _RUNS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
-class _Tokens(dict):
-    """Piece to the little-endian bytes of its ids, for a bounded number of pieces."""
+class _Tokens:
+    """Remembers, for a bounded number of pieces, the little-endian bytes of their ids."""
 
     def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[str, bytes] = {"": b""}
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = limit
-        self[""] = b""
         self.marks = {m: self.encoded(m) for m in ",."}
         vocabulary = self.library.get_vocab()
         self.borders = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin (or end) a piece of a joined text
@@ -45,44 +44,43 @@ class _Tokens(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Give the unknown ones of some pieces to the library together."""
-        fresh = pieces.difference(self)
+        known = self.known
+        fresh = pieces.difference(known)
         if not fresh:
             return
-        if len(self) + 2 * len(fresh) > self.limit:
-            short = {p: v for p, v in self.items() if len(p) <= 6}  # mostly frequent words; long ones are mostly met once
-            self.clear()
-            self[""] = b""
-            self.update(short if len(short) < self.limit // 2 else {})
-            fresh = pieces.difference(self)
+        if len(known) + 2 * len(fresh) > self.limit:
+            short = {p: v for p, v in known.items() if len(p) <= 6}  # mostly frequent words; long ones are mostly met once
+            known = self.known = short if len(short) < self.limit // 2 else {"": b""}
+            fresh = pieces.difference(known)
         # a word and a mark after it are coded apart, so a word need be met with one of them only
         marks, marked, bare = self.marks, [], set()
         for p in fresh:
-            w = p[:-1]
-            if p[-1:] in marks and w.isalpha():
+            if p[-1] in marks and (w := p[:-1]).isalpha():
                 marked.append((p, w))
                 bare.add(w)
             else:
                 bare.add(p)
-        joined = [w for w in bare.difference(self) if self.may_join(w)]
+        joined = [w for w in bare.difference(known) if self.may_join(w)]
         for i in range(0, len(joined), 2000):
             self._learn_joined(joined[i : i + 2000])
-        words = list(bare.difference(self))
+        words = list(bare.difference(known))
         if words:
             for w, e in zip(words, self.library.encode_batch_fast([self.shown(w) for w in words], add_special_tokens=False)):
-                self[w] = array("I", e.ids).tobytes()
-        self.update((p, self[w] + marks[p[-1]]) for p, w in marked)
+                known[w] = array("I", e.ids).tobytes()
+        known.update([(p, known[w] + marks[p[-1]]) for p, w in marked])
 
     def joined(self, pieces: list[str]) -> bytes:
         self.learn(set(pieces))
-        return b"".join(map(self.__getitem__, pieces))
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of several texts; their unknown pieces are learnt together."""
-        self.learn(set(chain.from_iterable(self.simple_pieces(t) for t in texts if t)))
-        return [self.ids(t or "") for t in texts]
+        pieces = [self.simple_pieces(t) if t else None for t in texts]
+        self.learn(set(chain.from_iterable(p for p in pieces if p)))
+        return [self.ids(t or "", p) for t, p in zip(texts, pieces)]
 
     def simple_pieces(self, text: str) -> list[str]:
-        """The pieces of a text of the common form, for learning them ahead."""
+        """The pieces of a text of the common form."""
         raise NotImplementedError
 
     def _learn_joined(self, words: list[str]) -> None:
@@ -91,7 +89,7 @@ class _Tokens(dict):
         cuts = self.cuts(np.flatnonzero(self.borders[ids]), len(ids))
         if len(cuts) == len(words) + 1 and cuts[0] == 0:
             raw, cuts = ids.tobytes(), (4 * cuts).tolist()
-            self.update(zip(words, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
 
     def is_border(self, token: str) -> bool:
         raise NotImplementedError
@@ -105,7 +103,7 @@ class _Tokens(dict):
     def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
         raise NotImplementedError
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         raise NotImplementedError
 
 
@@ -130,18 +128,18 @@ class ByteTokens(_Tokens):
     def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
         return np.append(at, n)
 
-    def ids(self, text: str) -> np.ndarray:
+    def ids(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.uint32)
         if any(c in text for c in RARE_SPACE):
             return np.frombuffer(self.encoded(text), dtype="<u4")
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
             return np.frombuffer(b"".join(map(self._run, _RUNS.findall(text))), dtype="<u4")
-        rest = self.simple_pieces(text)
+        rest = pieces or self.simple_pieces(text)
         first = rest[0]
         rest[0] = ""
         try:
-            return np.frombuffer(self.encoded(first) + b"".join(map(self.__getitem__, rest)), dtype="<u4")
+            return np.frombuffer(self.encoded(first) + b"".join(map(self.known.__getitem__, rest)), dtype="<u4")
         except KeyError:
             return np.frombuffer(self.encoded(first) + self.joined(rest), dtype="<u4")
 
@@ -170,10 +168,10 @@ class WordTokens(_Tokens):
     def cuts(self, at: np.ndarray, n: int) -> np.ndarray:
         return np.append(0, at + 1)
 
-    def ids(self, text: str) -> np.ndarray:
-        pieces = self.simple_pieces(text)
+    def ids(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
+        pieces = pieces or self.simple_pieces(text)
         try:
-            return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
+            return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<u4")
         except KeyError:
             return np.frombuffer(self.joined(pieces), dtype="<u4")
 
