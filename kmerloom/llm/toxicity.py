@@ -70,7 +70,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _fit(slots: np.ndarray, rows: np.ndarray, y: np.ndarray, odds: np.ndarray, steps: int = 150, l2: float = 1e-5, least_chi2: float = 10.0) -> Link:
+def _fit(slots: np.ndarray, rows: np.ndarray, y: np.ndarray, odds: np.ndarray, steps: int = 150, l2: float = 1e-5, least_chi2: float = 25.0) -> Link:
     """Logistic regression by Adam over the whole sample, in sums over sparse rows.
 
     Only words whose spread over the two classes is no accident (chi-square) take part, each with the size of
