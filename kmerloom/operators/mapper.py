@@ -118,11 +118,15 @@ def _half(p: Params) -> Column:
     return F.col("read_len") if p.absolute_positions else F.col("m")
 
 
-def bucket_hits(seeds: DataFrame, hits: DataFrame, reads: DataFrame, p: Params) -> DataFrame:
-    """Hits of seeds, once for each bucket they count for: read_idx, segm_id, b, h, occs, tpos, r, same."""
+def bucket_hits(seeds: DataFrame, hits: DataFrame, reads: DataFrame, p: Params, wanted: DataFrame | None = None) -> DataFrame:
+    """Hits of seeds, once for each bucket they count for: read_idx, segm_id, b, h, occs, tpos, r, same.
+
+    With ``wanted`` (read_idx, segm_id) a read meets only its own segments, so that copies don't meet each other.
+    """
     at = seeds.join(reads.select("read_idx", "read_len"), "read_idx") if p.absolute_positions else seeds
     at = at.select("read_idx", "h", "occs", F.col("strand").alias("own"), _half(p).alias("hl"), "seed_num", "m")
-    met = at.where(F.col("hl") >= p.min_sketch).join(hits, "h")
+    at = at.where(F.col("hl") >= p.min_sketch)
+    met = at.join(hits, "h") if wanted is None else at.join(wanted, "read_idx").join(hits, ["segm_id", "h"])
     pos = F.col("r") if p.absolute_positions else F.col("tpos")
     b = F.floor(pos / F.col("hl")).cast("int")
     met = met.withColumn("b0", b).withColumn("b", F.explode(F.when(F.col("b0") > 0, F.array(F.col("b0"), F.col("b0") - 1)).otherwise(F.array("b0"))))

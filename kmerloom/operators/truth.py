@@ -28,6 +28,12 @@ def best_windows(tpos: np.ndarray, r: np.ndarray, seed: np.ndarray, occs: np.nda
     return best_j, best_c
 
 
+def true_segments(reads: DataFrame, segments: DataFrame) -> DataFrame:
+    """(read_idx, segm_id) of the segment that each read's name gives."""
+    t = reads.select("read_idx", truth_of(F.col("query_id")).getField("segment").alias("name"))
+    return t.join(segments.select("segm_id", "name"), "name").select("read_idx", "segm_id")
+
+
 def truth_scores(hits: DataFrame, reads: DataFrame, segments: DataFrame, sketch: DataFrame) -> DataFrame:
     """Per read and bucket at its true place (offset -1, 0, 1): best Jaccard and containment of its windows.
 

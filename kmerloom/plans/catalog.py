@@ -345,14 +345,14 @@ def map_simulated(spark: SparkSession, d: str) -> DataFrame:
 
 @query("truth_windows")
 def truth_windows(spark: SparkSession, d: str) -> DataFrame:
-    c = corpus(spark, d)
-    named = c.reads.join(c.segments.select(F.col("segm_id").alias("read_idx"), "name"), "read_idx").withColumn("query_id", F.concat_ws("!", F.lit("S1_1"), "name", F.lit("0"), F.col("read_len").cast("string"), F.lit("+")))
-    docs = c.segments.select(F.col("segm_id").alias("read_idx"), F.substring("seq", 1, 400).alias("seq"))
-    reads = named.drop("seq", "read_len").join(docs, "read_idx").withColumn("read_len", F.length("seq"))
-    index = mapper.build_index(c.segments, PARAMS, True)
+    """Every document is its own read, over its whole text."""
+    segments = corpus(spark, d).segments
+    length = F.coalesce("sz", F.lit(0))
+    reads = segments.select(F.col("segm_id").alias("read_idx"), F.concat_ws("!", F.lit("S1_1"), "name", F.lit("0"), length.cast("string"), F.lit("+")).alias("query_id"), length.alias("read_len"), "seq")
+    index = mapper.build_index(segments, PARAMS, True)
     seeds = mapper.read_seeds(reads, index, PARAMS, True)
-    hits = mapper.bucket_hits(seeds.where("hits > 0"), index.hits, reads, PARAMS)
-    return truth.truth_summary(truth.truth_scores(hits, reads, c.segments, index.sketch), PARAMS.theta)
+    hits = mapper.bucket_hits(seeds.where("hits > 0"), index.hits, reads, PARAMS, truth.true_segments(reads, segments))
+    return truth.truth_summary(truth.truth_scores(hits, reads, segments, index.sketch), PARAMS.theta)
 
 
 FLAGSHIP = QUERIES["map_containment"]

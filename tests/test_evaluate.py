@@ -118,3 +118,28 @@ def test_entry_without_llm(spark):
     names = set(__spark_entry__.queries())
     assert {"map_containment", "concordance", "sketch_documents"} <= names
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_truth_windows_cover_all_documents(spark, tmp_path):
+    """Every document has a row, also without a benchmark item of its id, and over its whole text."""
+    from kmerloom.plans import catalog
+    from kmerloom.operators.sketch import sketch_array, text_bases
+
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (900, 3000, 2500)]
+    docs = [(7, texts[0]), (8, texts[1]), (900, texts[2]), (901, texts[2]), (902, None), (903, "short")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, texts[0][:300])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["read_idx"]: (r["max_j"], r["max_c"]) for r in catalog.truth_windows(spark, str(tmp_path)).collect()}
+    assert set(got) == {7, 8, 900, 901}
+    p = catalog.PARAMS
+    whole = lambda t: len(sketch_array(text_bases(t), p.k, p.h_frac)[0])
+    assert whole(texts[1]) > whole(texts[1][:400])
+    assert all(j == c == 1.0 for j, c in got.values())  # a whole text shares all of its sketch with itself
+    # the true segment only, or all segments: the same scores
+    segments = catalog.corpus(spark, str(tmp_path)).segments
+    reads = segments.where("seq is not null").select(F.col("segm_id").alias("read_idx"), F.concat_ws("!", F.lit("S1_1"), "name", F.lit("0"), F.col("sz").cast("string"), F.lit("+")).alias("query_id"), F.col("sz").alias("read_len"), "seq")
+    index = mapper.build_index(segments, p, True)
+    seeds = mapper.read_seeds(reads, index, p, True).where("hits > 0")
+    rows = [sorted(map(tuple, truth.truth_scores(mapper.bucket_hits(seeds, index.hits, reads, p, w), reads, segments, index.sketch).collect())) for w in (None, truth.true_segments(reads, segments))]
+    assert rows[0] == rows[1] and rows[0]
