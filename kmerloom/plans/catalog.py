@@ -330,7 +330,7 @@ def simulate_reads(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d)
     bases = F.array(*map(F.lit, "ACGT"))
     as_dna = F.array_join(F.transform(F.split("seq", ""), lambda x: F.get(bases, F.ascii(x) % 4)), "")
-    return simulate.simulate(c.segments.withColumn("seq", as_dna), 1000, 200, sub=0.01, ins=0.005, dele=0.005, error_sd=0.5, run_bias=5.0)
+    return simulate.simulate(c.segments.withColumn("seq", as_dna), length=200, depth=1.0, sub=0.01, ins=0.005, dele=0.005, error_sd=0.5, run_bias=5.0)
 
 
 @query("map_simulated")

@@ -143,3 +143,16 @@ def test_truth_windows_cover_all_documents(spark, tmp_path):
     seeds = mapper.read_seeds(reads, index, p, True).where("hits > 0")
     rows = [sorted(map(tuple, truth.truth_scores(mapper.bucket_hits(seeds, index.hits, reads, p, w), reads, segments, index.sketch).collect())) for w in (None, truth.true_segments(reads, segments))]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_simulated_reads_are_as_many_as_asked(spark):
+    """Segments with far less than a read's share each get theirs of n reads, in proportion to their bases."""
+    rng = random.Random(4)
+    rows = [(i, f"s{i}", n, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate([40] * 2000 + [20000])]
+    segments = spark.createDataFrame(rows, "segm_id long, name string, sz int, seq string").repartition(5)
+    got = [r[0] >> 32 for r in simulate.simulate(segments, 500, 20).select("read_idx").collect()]
+    assert len(got) == 500
+    assert abs(sum(i < 2000 for i in got) - 400) < 50 and len(set(got)) > 300
+    assert simulate.simulate(segments, length=20, depth=0.1).count() == 500
+    again = simulate.simulate(segments.repartition(2), 500, 20)
+    assert sorted(got) == sorted(r[0] >> 32 for r in again.select("read_idx").collect())
