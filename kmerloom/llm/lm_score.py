@@ -10,8 +10,8 @@ of tables per dish enters predictions, so that number is what is drawn: exactly,
 in leaps of five per cent.  Predictive probabilities average the tables of the sweeps after burn-in.
 
 Distribution: documents are read in chunks of bounded size.  A chunk sends its distinct word pairs to parts by
-context (contexts with a large share of all tokens are split further by following word), a part seats the
-restaurants that it got and answers each chunk with the pairs' counts and tables; single words go the same way
+context (contexts with a large share of all tokens are split further by following word), the parts count in how many
+contexts each word stands over all of them, a part seats the restaurants that it got given these shares and answers each chunk with the pairs' counts and tables; single words go the same way
 once the tables are known.  Nothing but sums of a few numbers and the frequent contexts (at most four times the
 number of parts) reaches the driver.  Words are 64-bit hashes; within restaurants 48 bits of them.
 
@@ -276,8 +276,49 @@ _MADE = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", I64), (
 MADE = "kind int, part int, chunk long, payload binary, a double, b double, c long, d long"
 
 
-def seat_pairs(table: pa.Table, parts: int, hot: dict[int, int]) -> pa.Table:
-    """Kind 0: for each chunk the tables of its contexts and the mass of shared pairs; 1: words' lost customers."""
+_TOLD = pa.schema([("part", pa.int32()), ("chunk", I64), ("payload", BIN), ("c", I64)])
+TOLD = "part int, chunk long, payload binary, c long"
+
+
+def tell_words(table: pa.Table, parts: int) -> pa.Table:
+    """For each part of the words: in how many contexts of this part (as chunk) each of its words was trained, and
+    the number of this part's trained pairs."""
+    number = table.column("part")[0].as_py()
+    us, ws = [], []
+    for b in table.column("payload").to_pylist():
+        u, runs, w, c = _unpack(b, 4)
+        trained = _unz(c, "<u4") > 0
+        us.append(np.repeat(_from_six(u), _unz(runs, "<u4"))[trained])
+        ws.append(_from_six(w)[trained])
+    words, w = np.unique(np.concatenate(ws), return_inverse=True)
+    _, u = np.unique(np.concatenate(us), return_inverse=True)
+    cells = np.sort(w << 32 | u)
+    cells = cells[np.r_[True, cells[1:] != cells[:-1]]] if len(cells) else cells
+    seen = np.bincount(cells >> 32, minlength=len(words))
+    to = common.mix(words) % U64(parts)
+    rows = [(part, number, _pack(_six(words[own]), _z(seen[own], "<u4")), len(cells)) for part in range(parts) for own in [to == U64(part)]]
+    return pa.Table.from_batches([common.arrow(_TOLD, list(zip(*rows)))])
+
+
+def answer_words(table: pa.Table) -> pa.Table:
+    """To every part that told of words: in how many contexts of all parts each of them was trained, and all pairs."""
+    cells = sum(table.column("c").to_pylist())
+    told = [(part, *_unpack(b, 2)) for part, b in zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist())]
+    words, inverse = np.unique(np.concatenate([_from_six(w) for _, w, _ in told]), return_inverse=True)
+    seen = np.bincount(inverse, weights=np.concatenate([_unz(c, "<u4") for _, _, c in told]), minlength=len(words)).astype(np.int64)
+    rows, at = [], 0
+    for part, w, _ in told:
+        own = inverse[at : at + len(w) // 6]
+        at += len(own)
+        rows.append((part, -1, _pack(w, _z(seen[own], "<u4")), cells))
+    return pa.Table.from_batches([common.arrow(_TOLD, list(zip(*rows)))])
+
+
+def seat_pairs(table: pa.Table, answers: pa.Table, parts: int, hot: dict[int, int]) -> pa.Table:
+    """Kind 0: for each chunk the tables of its contexts and the mass of shared pairs; 1: words' lost customers.
+
+    The answers hold in how many contexts of all parts words were trained, and the number of all trained pairs.
+    """
     number = table.column("part")[0].as_py()
     order = np.argsort(table.column("chunk").to_numpy())
     names = table.column("chunk").to_numpy()[order].tolist()
@@ -300,10 +341,13 @@ def seat_pairs(table: pa.Table, parts: int, hot: dict[int, int]) -> pa.Table:
     context_u = cu[np.r_[True, cu[1:] != cu[:-1]]]
     shards = np.array([hot.get(int(k), 1) for k in context_u.tolist()], dtype=np.float64) if hot else np.ones(len(context_u))
     live = count > 0
-    # the parent's first probability: in how many contexts of this part a word was seen
-    _, inverse, seen = np.unique(cw[live], return_inverse=True, return_counts=True)
+    # the parent's first probability: in how many contexts of all parts a word was seen
     p = np.full(len(cw), 1.0)
-    p[live] = (seen[inverse] / max(1, int(live.sum()))) if live.any() else 1.0
+    if live.any():
+        parted = [_unpack(b, 2) for b in answers.column("payload").to_pylist()]
+        told, seen = np.concatenate([_from_six(w) for w, _ in parted]), np.concatenate([_unz(c, "<u4") for _, c in parted])
+        by_word = np.argsort(told)
+        p[live] = seen[by_word][np.searchsorted(told[by_word], cw[live])] / answers.column("c")[0].as_py()
     t = live.astype(np.float64)
     again = np.flatnonzero(count > 1)
     rng = np.random.default_rng([number, 4])
@@ -445,7 +489,10 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hot = {r["word"]: min(parts, math.ceil(4 * parts * r["c"] / max(total, 1))) for r in frequent}
     shared = spark.sparkContext.broadcast(hot)
     pairs = docs.mapInArrow(_send_pairs(parts, shared), SENT)
-    made = common.stash(pairs.groupBy("part").applyInArrow(lambda t: seat_pairs(t, parts, shared.value), MADE), f"{path}/pairs", "kind")
+    told = pairs.groupBy("part").applyInArrow(lambda t: tell_words(t, parts), TOLD)
+    shares = told.groupBy("part").applyInArrow(answer_words, TOLD)
+    seats = pairs.groupBy("part").cogroup(shares.groupBy("part"))  # both read one exchange of the pairs
+    made = common.stash(seats.applyInArrow(lambda t, u: seat_pairs(t, u, parts, shared.value), MADE), f"{path}/pairs", "kind")
     words = docs.mapInArrow(_send_words(parts), SENT).unionByName(made.where("kind = 1").select("part", "chunk", "payload"))
     seated = common.stash(words.groupBy("part").applyInArrow(seat_words, MADE), f"{path}/words", "kind")
     customers, tables, n, v = seated.where("kind = 3").agg(F.sum("a"), F.sum("b"), F.sum("c"), F.sum("d")).first()

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,36 @@ def test_context_probabilities_sum_to_one():
     assert p.count.sum() == 9 and len(p.u) == len(set(zip(p.u.tolist(), p.w.tolist())))
 
 
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_contexts_are_seated_with_shares_of_all_parts(parts, monkeypatch):
+    """The parent's probability of a word is its share of all contexts' words, whatever the number of parts."""
+    rng = random.Random(6)
+    vocab = np.random.default_rng(6).integers(1, 1 << 63, 80).astype(np.uint64)
+    sent, cells = [], set()
+    for number in range(2):
+        tokens = np.array([min(rng.randrange(80), rng.randrange(80)) for _ in range(2000)], dtype=np.int32)
+        chunk = lm_score.Chunk(number, [1, 2], np.array([False, True]), np.array([1500, 500]), tokens, vocab)
+        hot = {int(vocab[0] & lm_score.LOW48): min(parts, 4)}
+        u, w = chunk.contexts()[:1500], tokens[:1500]
+        cells |= set(zip(u.tolist(), w.tolist()))
+        p, key = lm_score.pairs_of(chunk, parts, hot), vocab & lm_score.LOW48
+        for part, own, first in lm_score._slices(p, chunk):
+            runs = np.diff(np.r_[first, own.stop - own.start])
+            sent.append((part, number, lm_score._pack(lm_score._six(key[p.u[own][first]]), lm_score._z(runs, "<u4"), lm_score._six(key[p.w[own]]), lm_score._z(p.count[own], "<u4"))))
+    table = lambda rows, schema: pa.Table.from_batches([lm_score.common.arrow(schema, list(zip(*rows)))])
+    told = pa.concat_tables([lm_score.tell_words(table([s for s in sent if s[0] == i], lm_score._SENT), parts) for i in sorted({s[0] for s in sent})]).to_pylist()
+    assert sum(r["c"] for r in told) == len(cells) * parts
+    answers = [tuple(r.values()) for i in sorted({r["part"] for r in told}) for r in lm_score.answer_words(table([tuple(r.values()) for r in told if r["part"] == i], lm_score._TOLD)).to_pylist()]
+    used = []
+    monkeypatch.setattr(lm_score, "SWEEPS", 4)
+    monkeypatch.setattr(lm_score, "seat", lambda c, others, p, *_: used.append(p) or np.ones(len(c)))
+    for i in sorted({s[0] for s in sent}):
+        lm_score.seat_pairs(table([x for x in sent if x[0] == i], lm_score._SENT), table([x for x in answers if x[0] == i], lm_score._TOLD), parts, hot)
+    share = Counter(w for _, w in cells)
+    got = np.unique(np.round(np.concatenate(used), 12))
+    assert len(got) and set(got) <= {round(c / len(cells), 12) for c in share.values()}
+
+
 # 5 -----------------------------------------------------------------------------------------------------------
 
 
