@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession, rows: int = 256) -> None:
-    """The package on the executors, and small Arrow batches: 10,000 long texts at once could fill a worker."""
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what Python makes of them stays small; the session decides on the rest."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -36,10 +43,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def workdir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is unset (tests in local mode) a local folder is taken instead.
+    Only in local mode (tests) a local folder is taken where the setting is unset; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "kmerloom-work")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
@@ -53,6 +62,13 @@ def stash(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder that nothing will read again."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered for up to a fixed number of words."""
 

@@ -115,7 +115,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sh
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = common.WordHashes()
     before = None  # bucket, doc_id, text, sketch
-    for batch in batches:
+    for batch in common.slices(batches):
         out: list[tuple] = []
         for bucket, halo, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "text"))):
             own = sketch(text, hashes)

@@ -249,13 +249,13 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches, 64):
         texts = [extract(h) for h in batch.column(2).to_pylist()]
         yield common.arrow(_ARROW, [batch.column(0), batch.column(1), texts, [len(t) for t in texts]])
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    common.prepare(df.sparkSession, 64)
+    common.prepare(df.sparkSession)
     cols = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return cols.mapInArrow(_run, "page_id long, url string, text string, n_chars long")
 

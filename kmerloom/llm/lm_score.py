@@ -91,7 +91,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         return Chunk(number, ids, np.array(held), sizes, np.concatenate(parts), vocab)
 
-    for batch in batches:
+    for batch in common.slices(batches):
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = common.ascii_words(text)
             words.append(END)
@@ -188,7 +188,7 @@ def _heavy(parts: int):
             found = [(int(np.int64(U64(common.xxhash.xxh64_intdigest(w)) & LOW48)), c) for w, c in counts.items() if 2 * parts * c >= n]
             return common.arrow(schema, list(zip(*[*found, (-1, n)])))
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for text in batch.column(0).to_pylist():
                 words = common.ascii_words(text)
                 counts.update(words)

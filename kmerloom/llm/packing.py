@@ -51,7 +51,7 @@ def _tokenized(tokenizer: str, end_id: int, window: int):
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         df, docs, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
-        for batch in batches:
+        for batch in common.slices(batches):
             rows: list[tuple] = []
             for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist())):
                 ids = np.append(own, end_id).astype("<u2")
@@ -161,7 +161,7 @@ def _packed(model, window: int):
             held.clear()
             return common.arrow(_OUT, list(zip(*rows)))
 
-        for batch in batches:
+        for batch in common.slices(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "payload"))):
                 held.append(row)
                 if len(held) >= SHARD_DOCS:

@@ -179,7 +179,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BA
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spans = find(text)
@@ -203,7 +203,7 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             yield batch.set_column(at, batch.schema.field(at), pa.array([redact(t) for t in batch.column(at).to_pylist()], pa.string()))
 
     return df.mapInArrow(run, df.schema)

@@ -161,7 +161,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         def close() -> pa.RecordBatch:
             return common.arrow(_SHARDS_ARROW, [[part], [shard], [sum(lengths)], [names], [lengths], [encode(np.concatenate(ids))]])
 
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = batch.column(1).to_pylist()
             for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(texts)):
                 ids.append(np.append(own, end_id).astype(np.uint32))
@@ -189,15 +189,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
     starts = shards.select("part", "shard", within.alias("within")).join(before, "part").select("part", "shard", (F.col("before") + F.col("within")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, 4):
             for start, names, lengths, payload in zip(*(batch.column(c).to_pylist() for c in range(4))):
                 ids = decode(payload).astype("<u4")
                 ends = np.cumsum(lengths)
                 crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths)]
                 yield common.arrow(_DOCS_ARROW, [names, start + ends - lengths, lengths, crcs])
 
-    spark = shards.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return shards.join(starts, ["part", "shard"]).select("start", "doc_ids", "lengths", "payload").mapInArrow(run, _DOCS)
 
 

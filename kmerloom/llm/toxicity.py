@@ -139,7 +139,7 @@ def _sparse(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slots = _Slots()
-    for batch in batches:
+    for batch in common.slices(batches):
         found = [features(t, slots) for t in batch.column("text").to_pylist()]
         yield batch.drop_columns(["text"]).append_column("slots", pa.array(found, pa.list_(pa.int32())))
 
@@ -170,7 +170,7 @@ def score(docs: DataFrame, chain: list[Link], names: list[str], id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
-        for batch in batches:
+        for batch in common.slices(batches):
             found, of = _sparse([features(t, slots) for t in batch.column(1).to_pylist()])
             p = apply_chain(model.value, found, of, batch.num_rows)
             yield common.arrow(schema, [batch.column(0), *(p[:, i] for i in range(len(names)))])
@@ -200,7 +200,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = _Slots()
-        for batch in batches:
+        for batch in common.slices(batches):
             found, of = _sparse([features(t, slots) for t in batch.column(at).to_pylist()])
             p = apply_chain(model.value, found, of, batch.num_rows)
             yield batch.filter(pa.array(p[:, -1] < THRESHOLD))
