@@ -48,7 +48,6 @@ def empty(docs):
 
 def ids_of(name: str, text: str | None, end: int) -> list[int]:
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -70,6 +69,16 @@ def test_simple8b_round_trip():
             assert (simple8b.decode(b, 1, 3) == x[4096 : 3 * 4096]).all()
 
 
+@pytest.mark.parametrize("kind, name", [(tokens.ByteTokens, "byte_bpe_50k.json"), (tokens.WordTokens, "word_bpe_49k.json")])
+def test_tokens_of_odd_texts_equal_the_library(kind, name):
+    rng, mine, library = random.Random(5), kind(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    odd = "a|the|THE| |  |\n|\n\n|\t|\u00a0|\u2003|\u3000|.|,|'s|don't|\u03a3|\u0391\u03a3|\u03a3\u0130|\u0130|\u00df|e\u0301|\u4e2d|\U0001f600|1|42|\ufb01|\u0345|\u0386|\u01c5|\r\n|\u212a|\u1100\u1161\u11a8|\x1c|\x85".split("|") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>"]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz\u00e4ABC") for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    rows = ["".join(rng.choice(odd) if rng.random() < 0.5 else rng.choice(words) + rng.choice([" ", "", ". "]) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    got = [x.tolist() for at in range(0, len(rows), 500) for x in mine.ids_of(rows[at : at + 500])]
+    assert got == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("kind, name", [(tokens.ByteTokens, "byte_bpe_50k.json"), (tokens.WordTokens, "word_bpe_49k.json")])
 def test_tokens_equal_the_library(kind, name):
     mine = kind(public_tokenizers.path(name), limit=60)
@@ -296,18 +305,53 @@ def test_decontamination_by_brute_force(spark):
 
 def test_hamming_blocks_find_all_within_radius():
     r = np.random.default_rng(1)
-    items = decontaminate.Items([(i, prose(random.Random(i), 20)) for i in range(50)])
-    g = next(iter(items.groups.values()))
+    items = decontaminate.Items([(i, prose(random.Random(i), 20 + i % 2)) for i in range(50)])
     prints = []
-    for x in g["prints"]:
+    for x in items.prints:
         for far in range(0, 30, 3):
             y = int(x)
             for b in r.choice(64, far, replace=False):
                 y ^= 1 << int(b)
             prints.append(y)
     prints = np.array(prints, dtype=np.uint64)
-    want = decontaminate.popcount(prints[:, None] ^ g["prints"]) <= items.radius
-    assert (items.candidates(g, prints) == want).all()
+    near = decontaminate.popcount(prints[:, None] ^ items.prints) <= items.radius
+    for group in set(items.groups.values()):
+        windows, found = items.candidates(group, prints)
+        assert set(zip(windows.tolist(), found.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near & (items.group == group)))))
+    random_prints = r.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 20_000, dtype=np.uint64)
+    one = decontaminate.Items([(0, prose(random.Random(0), 20))])
+    first = [f for f, _ in one.buckets]
+    met = sum(f[one.block(random_prints, b).astype(np.int64) + 1] - f[one.block(random_prints, b).astype(np.int64)] for b, f in enumerate(first))
+    assert met.mean() < 0.06  # the look-up itself leaves out most windows
+
+
+def test_decontamination_recall_of_edited_items():
+    """Windows with a similarity of 0.8 or more are found in 0.9 of the cases at least, equal ones always."""
+    rng = random.Random(8)
+    found = wanted = 0
+    for i in range(400):
+        own = [f"{w}{rng.randrange(50)}" for w in prose(rng, rng.randint(40, 120)).split()]
+        w = list(own)
+        for at in rng.sample(range(len(w)), rng.randint(0, max(1, len(w) // 45))):
+            w[at] = "changed"
+        text, item = " ".join(w), " ".join(own)
+        similar = weighted(shingles(w, 5), shingles(own, 5))
+        if similar >= 0.8:
+            wanted += 1
+            found += bool(decontaminate.find_in(decontaminate.common.hashed_words(decontaminate.words_of(text), decontaminate.common.WordHashes()), decontaminate.Items([(1, item)])))
+        if similar == 1:
+            wanted, found = wanted - 1, found - 1
+    assert wanted > 150 and found >= 0.9 * wanted
+
+
+def test_items_of_one_id_or_none_stand_apart(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ITEMS", 40)
+    rng = random.Random(9)
+    texts_ = [prose(rng, 12) for _ in range(300)]
+    items = [(None, texts_[0]), (None, texts_[1]), (1, texts_[0]), (1, texts_[0]), *((i, t) for i, t in enumerate(texts_[2:], 5))]
+    docs = spark.createDataFrame([(1, f"{texts_[0]} so {texts_[1]}"), (2, texts_[250]), (None, texts_[1])], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    assert got == {(1, None): 2, (1, 1): 2, (2, 253): 1, (None, None): 1}
 
 
 # 7 -----------------------------------------------------------------------------------------------------------
