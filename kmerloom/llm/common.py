@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kmerloom.session import ship
 
 U64 = np.uint64
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Odd multipliers of a 64-bit mixer.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -54,12 +55,19 @@ def workdir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Python workers get small batches while it is written; the session's setting is put back.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, "512")
+    try:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

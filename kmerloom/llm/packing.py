@@ -51,7 +51,7 @@ def _tokenized(tokenizer: str, end_id: int, window: int):
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         df, docs, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
-        for batch in common.slices(batches, 1024):
+        for batch in common.slices(batches, 512):
             rows: list[tuple] = []
             for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(batch.column(1).to_pylist())):
                 if len(own) and int(own.max()) >> 16:

@@ -161,7 +161,7 @@ def write_shards(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
         def close() -> pa.RecordBatch:
             return common.arrow(_SHARDS_ARROW, [[part], [shard], [sum(lengths)], [names], [lengths], [encode(np.concatenate(ids))]])
 
-        for batch in common.slices(batches, 1024):
+        for batch in common.slices(batches, 512):
             texts = batch.column(1).to_pylist()
             for doc_id, own in zip(batch.column(0).to_pylist(), tokens.ids_of(texts)):
                 ids.append(np.append(own, end_id).astype(np.uint32))
