@@ -77,12 +77,28 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task, until work that asks for ``released`` begins in it."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def released() -> None:
+    """Let go of what earlier work of other kinds has kept in this worker process."""
+    _KEPT.clear()
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered for up to a fixed number of words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
+        released()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -357,6 +357,8 @@ class _Join:
         seen = self.spark.sparkContext.broadcast(seen)
         posts = nodes.mapInArrow(_posts(self.percent, seen), POSTS).join(shared, "token", "left_semi")
         self.posts = common.stash(posts.withColumn("grp", F.col("node")), f"{self.path}/posts-0")
+        for held in (sketch, seen):
+            held.unpersist()
         common.remove(self.spark, f"{self.path}/nodes", f"{self.path}/shared")
 
     def shared(self, pairs: DataFrame, diffs: bool) -> DataFrame:

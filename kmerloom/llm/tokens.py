@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space, by any usual definition, other than blank and line feed.
@@ -93,11 +95,11 @@ class _Tokens:
         out, plain, cut = [_NONE] * len(texts), [], []
         for k, t in enumerate(texts):
             if t:
-                if (common := self.common_form(t)) is None:
+                if (form := self.common_form(t)) is None:
                     out[k] = self.whole(t)
                 else:
                     plain.append(k)
-                    cut.append(common)
+                    cut.append(form)
         if not plain:
             return out
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
@@ -226,11 +228,6 @@ class WordTokens(_Tokens):
         return lowered.replace("\n", " ")
 
 
-_open: dict[tuple[type, str], _Tokens] = {}
-
-
 def shared(kind: type[_Tokens], path: str) -> _Tokens:
     """One for each worker process, so that later tasks find what earlier ones have learnt."""
-    if (kind, path) not in _open:
-        _open[kind, path] = kind(path)
-    return _open[kind, path]
+    return common.kept((kind, path), lambda: kind(path))

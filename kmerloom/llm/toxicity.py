@@ -39,8 +39,12 @@ THRESHOLD = 0.5
 class _Slots(dict):
     """Feature slots of words, stripped of ASCII punctuation at their ends."""
 
+    def __init__(self):
+        super().__init__()
+        common.released()
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word.strip(b".,;:!?\"'()[]{}*#$%&-_")) >> (32 - BITS)
         return value
