@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import platform
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kmerloom.session import ship
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Odd multipliers of a 64-bit mixer.
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -31,7 +34,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of few rows, so that what Python makes of them stays small; the session decides on the rest."""
+    """The batches in parts of few rows, so that what Python makes of them stays small; the session decides on the rest.
+
+    A worker process that begins a task first gives back the memory that earlier tasks have freed.
+    """
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -145,6 +145,7 @@ def pack_shard(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
 def _packed(model, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, mean_length = model.value
+        common.released()
         context = TaskContext.get()
         sequence = (1 << 62) + ((context.partitionId() if context else 0) << 32)
         held: list[tuple] = []

@@ -207,6 +207,9 @@ class ByteTokens(_Tokens):
 class WordTokens(_Tokens):
     """A vocabulary with word ends that drops white space and case."""
 
+    def __init__(self, path: str, limit: int = 300_000):
+        super().__init__(path, limit)
+
     def is_border(self, token: str) -> bool:
         return token.endswith("</w>")
 
