@@ -243,11 +243,11 @@ def merge_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _second(spark: SparkSession, d: str) -> DataFrame:
-    s = records(spark, d, "reference").where("n % 4 = 0")
+    s = records(spark, d, "reference")
     return s.withColumn("tname", F.lit("segA:1000")).withColumn("tstart", F.col("tstart") - 1000).withColumn("tend", F.col("tend") - 1000)
 
 
-@query("override_merge", f"WITH s AS ({S}), r AS ({R}), w AS (SELECT qname, tstart, tend, strand, mapq FROM r WHERE n % 4 = 0 AND strand <> '*' AND mapq >= 60) SELECT s.qname, coalesce(w.tstart, s.tstart) AS tstart, coalesce(w.tend, s.tend) AS tend, CASE WHEN w.qname IS NULL THEN s.tname ELSE 'segA' END AS tname, coalesce(w.mapq, s.mapq) AS mapq, w.qname IS NOT NULL AS replaced FROM s LEFT JOIN w USING (qname)")
+@query("override_merge", f"WITH s AS ({S}), r AS ({R}), w AS (SELECT qname, tstart, tend, strand, mapq FROM r WHERE strand <> '*' AND mapq >= 60) SELECT s.qname, coalesce(w.tstart, s.tstart) AS tstart, coalesce(w.tend, s.tend) AS tend, CASE WHEN w.qname IS NULL THEN s.tname ELSE 'segA' END AS tname, coalesce(w.mapq, s.mapq) AS mapq, w.qname IS NOT NULL AS replaced FROM s LEFT JOIN w USING (qname)")
 def override_merge(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.override(records(spark, d, "subject"), _second(spark, d)).select("qname", "tstart", "tend", "tname", "mapq", "replaced")
 
@@ -282,13 +282,13 @@ def log_bins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str, factor: float) -> DataFrame:
-    li = table(spark, d, "lineitem").where(F.col("l_linenumber") <= 4)
+    li = table(spark, d, "lineitem")
     wall = F.sum(F.col("l_quantity") * (1 + F.lit(factor) * F.col("l_discount")))
     return li.groupBy(F.col("l_returnflag").alias("benchmark"), F.col("l_linestatus").alias("metric"), F.col("l_linenumber").alias("threads")).agg(wall.alias("wall_s"), F.sum(F.col("l_extendedprice") * (1 + F.lit(factor) * F.col("l_tax"))).alias("rss_kb"))
 
 
 def _runs_sql(factor: float) -> str:
-    return f"SELECT l_returnflag AS benchmark, l_linestatus AS metric, l_linenumber AS threads, sum(l_quantity * (1 + {factor} * l_discount)) AS wall_s, sum(l_extendedprice * (1 + {factor} * l_tax)) AS rss_kb FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL"
+    return f"SELECT l_returnflag AS benchmark, l_linestatus AS metric, l_linenumber AS threads, sum(l_quantity * (1 + {factor} * l_discount)) AS wall_s, sum(l_extendedprice * (1 + {factor} * l_tax)) AS rss_kb FROM lineitem GROUP BY ALL"
 
 
 @query(
