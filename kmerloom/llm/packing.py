@@ -43,11 +43,11 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _tokenized(tokenizer: str, end_id: int, window: int):
+def _tokenized(tokenizer: str, end_id: int, window: int, remembered: int):
     """Kind 0: whole windows; 1: remainders with their ids; 2: document frequencies, documents and tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared(WordTokens, tokenizer)
+        tokens = shared(WordTokens, tokenizer, remembered)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
         df, docs, total = np.zeros(1 << 16, dtype=np.int64), 0, 0
@@ -175,16 +175,18 @@ def _packed(model, window: int):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", remembered: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
+    A worker remembers the ids of up to ``remembered`` distinct word pieces (some 150 bytes each); results don't depend on it.
+
     Token ids are kept in 16 bits, so the vocabulary may have up to 65,536 entries.
     """
     spark = df.sparkSession
     common.prepare(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = common.workdir(spark)
-    rows = common.stash(docs.mapInArrow(_tokenized(tokenizer, end_id, window), f"kind int, {OUT}, payload binary, place long"), f"{path}/pieces", "kind")
+    rows = common.stash(docs.mapInArrow(_tokenized(tokenizer, end_id, window, remembered), f"kind int, {OUT}, payload binary, place long"), f"{path}/pieces", "kind")
     sums = rows.where("kind = 2").select("doc_id", "start", "length", "payload").groupBy("doc_id").applyInArrow(_summed, "block long, docs long, total long, payload binary").collect()  # 16 rows
     n_docs, total = (sum(r[c] for r in sums) for c in ("docs", "total"))
     counts = np.zeros(1 << 16)
@@ -205,7 +207,7 @@ def tokenizer_path() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(common.table(spark, sf_dir, "documents"), tokenizer_path(), remembered=1_000_000)
 
 
 QUERIES = {"op8_packing": op8_packing}

@@ -207,9 +207,6 @@ class ByteTokens(_Tokens):
 class WordTokens(_Tokens):
     """A vocabulary with word ends that drops white space and case."""
 
-    def __init__(self, path: str, limit: int = 300_000):
-        super().__init__(path, limit)
-
     def is_border(self, token: str) -> bool:
         return token.endswith("</w>")
 
@@ -231,6 +228,6 @@ class WordTokens(_Tokens):
         return lowered.replace("\n", " ")
 
 
-def shared(kind: type[_Tokens], path: str) -> _Tokens:
+def shared(kind: type[_Tokens], path: str, limit: int = 600_000) -> _Tokens:
     """One for each worker process, so that later tasks find what earlier ones have learnt."""
-    return common.kept((kind, path), lambda: kind(path))
+    return common.kept((kind, path, limit), lambda: kind(path, limit))
