@@ -86,16 +86,14 @@ class Index:
     """BM25 over the documents of one shard."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        found = [np.unique(p, return_counts=True) for p in pieces]
-        sizes = np.array([len(u) for u, _ in found])
-        doc = np.repeat(np.arange(len(pieces)), sizes)
-        term = np.concatenate([u for u, _ in found]).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(np.float64)
-        length = np.array([len(p) for p in pieces], dtype=np.float64)
+        length = np.array([len(p) for p in pieces], dtype=np.int64)
+        keys = np.repeat(np.arange(len(pieces), dtype=np.uint32) << np.uint32(16), length) | np.concatenate(pieces).astype(np.uint32)
+        keys, tf = np.unique(keys, return_counts=True)
+        doc, term = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight, self.n = doc[order], weight[order], len(pieces)
-        self.terms = [u.astype(np.int64) for u, _ in found]
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(pieces))))
         self.first = np.searchsorted(term[order], np.arange((1 << 16) + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -131,14 +129,12 @@ def pack_shard(pieces: list[np.ndarray], idf: np.ndarray, mean_length: float, wi
             score = index.scores(seed)
             order = np.argsort(-score, kind="stable")
             order = order[left[order] > 0]
-            while room and len(order):
-                fits = np.flatnonzero(left[order] <= room)
-                if len(fits):
-                    i = int(order[fits[0]])
-                    order = np.delete(order, fits[0])
-                    take(i, int(left[i]))
-                else:
-                    take(int(order[0]), room)
+            for i, n in zip(order.tolist(), left[order].tolist()):  # room only shrinks, so what did not fit need not be tried again
+                if n <= room:
+                    take(i, n)
+            order = order[left[order] > 0]
+            if room and len(order):
+                take(int(order[0]), room)
         yield out
 
 

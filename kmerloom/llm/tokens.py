@@ -104,7 +104,7 @@ class _Tokens:
             return out
         lists = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
         pieces = lists.flatten().dictionary_encode()
-        raw = self.looked_up(pieces.dictionary.to_pylist())
+        raw = self.looked_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         bounds = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) >> 2, out=bounds[1:])
         known = pa.LargeListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(raw), dtype="<u4")))
