@@ -146,3 +146,57 @@ def test_params_are_checked():
         with pytest.raises(ValueError):
             Params(**bad)
     assert np.uint64(hashing.threshold(0.01)) == 184467440737095520
+
+
+def _simulated(spark):
+    """Segments with copies, near copies and repeats, and reads of them."""
+    import random
+
+    from kmerloom.operators import simulate
+
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACGT") for _ in range(rng.randint(500, 1500))) for _ in range(14)]
+    unit = "".join(rng.choice("ACGT") for _ in range(40))
+    texts = base + base[:4] + [b[:300] + unit * 12 + b[300:] for b in base[4:9]]
+    texts += ["".join(c if rng.random() > 0.03 else rng.choice("ACGT") for c in b) for b in base[9:]] + ["ACGTN" * 3, None, "N" * 600]
+    segments = spark.createDataFrame([(i, f"d{i}", len(t) if t else None, t) for i, t in enumerate(texts)], "segm_id long, name string, sz int, seq string")
+    reads = simulate.simulate(segments.where("seq is not null"), length=200, depth=2.0, sub=0.03, ins=0.01, dele=0.01, error_sd=0.5, run_bias=5.0)
+    return segments, reads.cache()
+
+
+def test_many_reads_are_mapped_as_single_ones(spark):
+    from kmerloom.operators import many, mapper
+    from kmerloom.params import Params
+    from kmerloom.sources import paf
+
+    segments, reads = _simulated(spark)
+    p = Params(k=11, h_frac=0.2, theta=0.3, min_diff=0.075, max_overlap=0.3)
+    want, got = (sorted(map(tuple, paf.core(x).collect())) for x in (mapper.map_reads(mapper.Corpus(segments, reads), p).mappings, many.map_many(segments, reads, p)))
+    assert len(want) > 200 and got == want
+
+
+def test_simulated_reads_meet_few_places_of_a_small_vocabulary(spark, tmp_path):
+    """Texts of few words: hits grow with the square of the texts, places that are scored with the texts."""
+    import random
+
+    import __spark_entry__
+    from kmerloom.operators import many
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(14)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    scored, plain = [], many._verify
+
+    def counted(found, *rest):
+        scored.append(found.count())
+        return plain(found, *rest)
+
+    many._verify = counted
+    try:
+        row = __spark_entry__.queries()["map_simulated"](spark, str(tmp_path)).first()
+    finally:
+        many._verify = plain
+    assert row["n"] > 300 and row["overlap_ok"] > 0.9 * row["n"]
+    assert 0 < sum(scored) < 20 * row["n"]
